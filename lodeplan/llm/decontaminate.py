@@ -194,8 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find(docs.select("doc_id", "text"), benchmark, ["doc_id"])
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_ranges") / 2 - 1), F.lit(0).cast("bigint"), lambda s, k: s + F.get("hit_ranges", (2 * k + 1).cast("int")) - F.get("hit_ranges", (2 * k).cast("int")))
-    n_hit = F.when(F.size("hit_ranges") > 0, n_hit).otherwise(F.lit(0).cast("bigint"))
+    n_hit = F.aggregate(F.transform("hit_ranges", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.sort_array("hit_items"), ","), 256).alias("items_sha256"), (F.size("hit_ranges") > 0).alias("contaminated"))
 
 
