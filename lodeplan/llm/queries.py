@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, warc
+from . import bpe, decontaminate, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -25,8 +25,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op7_warc, op8_bpe)}
+    return {f.__name__: f for f in (op2_decontaminate, op7_warc, op8_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
