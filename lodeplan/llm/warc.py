@@ -54,18 +54,16 @@ def write(captures: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """captures: page_id bigint, url, html, captured_at timestamp.  Payloads below min_bytes are never revisits."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     rows = captures.select(F.col("page_id").cast("bigint").alias("page"), url.alias("url"), F.col("captured_at").alias("at"), html.alias("html"), base32(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).alias("n"))
-    key = ["page", "url", "at", "digest"]
+    # one key that is never null, so that grouping and join agree on where a capture goes
+    key = F.sha1(F.concat_ws("\x1f", F.coalesce(F.col("page").cast("string"), F.lit("-")), F.coalesce(F.col("at").cast("string"), F.lit("-")), "digest", "url").cast("binary"))
+    rows = rows.withColumn("key", key)
     # which capture is the response: on narrow rows, hot digests combined before the shuffle
-    narrow = rows.select(*key, "n")
+    narrow = rows.select("key", "page", "url", "at", "digest", "n")
     order = F.struct(F.col("page").isNull().alias("no"), "page", "url", "at")
     first = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min(order).alias("best"))
-    role = narrow.select(*key).distinct().join(first, "digest", "left").select(*key, F.col("best"))
-    whole = rows.groupBy(*key).agg(F.first("html").alias("html"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    same = None
-    for c in key:
-        both = whole[c].eqNullSafe(role[c])
-        same = both if same is None else same & both
-    joined = whole.join(role.hint("merge"), same, "left").select(*(whole[c] for c in key), "html", "n", "copies", "best")
+    role = narrow.select("key", "digest").distinct().join(first, "digest", "left").select("key", "best")
+    whole = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("page", "url", "at", "digest", "html", "n")), F.count(F.lit(1)).alias("copies"))
+    joined = whole.join(role.hint("merge"), "key", "left")
     each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     leads = F.col("best").isNull() | ((F.col("copy") == 1) & order.eqNullSafe(F.col("best")))
     nl, target = "\r\n", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
