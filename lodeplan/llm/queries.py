@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, packing, toxicity, warc
+from . import bpe, decontaminate, licenses, packing, quality, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontaminate, op6_licenses, op7_warc, op8_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontaminate, op5_quality, op6_licenses, op7_warc, op8_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
