@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
-POSITIVE, NEGATIVE = 3000, 5000
+POSITIVE, NEGATIVE = 2000, 3000
 GRAMS, BUCKETS, DIM, EPOCHS, RATE = (3, 4, 5), 1 << 17, 8, 12, 1.0
 THRESHOLD = 0.3
 
@@ -86,8 +86,9 @@ def bags(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                 if len(own):
                     yield pa.RecordBatch.from_arrays([batch.column(1)[i : i + 1], pa.array([own.astype(np.uint32).tobytes()]), pa.array([(n / n.sum()).astype(np.float32).tobytes()])], ["y", "b", "w"])
 
-    rows = sample.select("text", "y", "doc_id").mapInArrow(lambda it: run(x.select([0, 1]) for x in it), "y int, b binary, w binary").collect()
-    return sorted(((r.y, np.frombuffer(r.b, np.uint32), np.frombuffer(r.w, np.float32)) for r in rows), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    # by way of a table, read one partition after another: neither the JVM nor Python holds all rows twice
+    rows = common.keep(sample.select("text", "y").repartition(16, "text").mapInArrow(run, "y int, b binary, w binary"), "bags").toLocalIterator()
+    return sorted(((r.y, np.frombuffer(r.b, np.uint32), np.frombuffer(r.w, np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), bytes(r[1][:64]), bytes(r[2][:64])))
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], odds: float, seed: int = 7) -> Model:
