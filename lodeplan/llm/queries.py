@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, packing, quality, toxicity, warc
+from . import bpe, decontaminate, licenses, lines, neardup, packing, quality, secrets, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,16 +46,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontaminate, op5_quality, op6_licenses, op7_warc, op8_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_secrets, op4_lines, op5_quality, op6_licenses, op7_warc, op8_bpe, op9_minmax, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_decontaminate": oracles.DECONTAMINATE, "op7_warc": oracles.WARC}
+    return {"op2_decontaminate": oracles.DECONTAMINATE, "op3_secrets": oracles.SECRETS, "op7_warc": oracles.WARC, "op9_minmax": oracles.NEAR_DUPLICATES}
