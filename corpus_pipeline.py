@@ -1,4 +1,64 @@
-"""From raw documents to token ids: the stages of a training corpus, each an operator of lodeplan.llm."""
+"""From raw documents to token ids: five stages, each one operator of lodeplan.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next stage's docs.  All but the last return the columns of documents.
+
+quality_rules        documents that the base rules or the outlier test reject go
+line_dedup           repeated and nearly repeated lines go (n_chars follows the text); a document all of
+                     whose lines occur elsewhere is a copy and goes
+near_dedup           of each group of near duplicates the document with the smallest id stays
+decontamination      documents that contain a window of a benchmark item go
+byte_bpe             doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text's bytes
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodeplan.llm import bpe, common, decontaminate, lines, neardup, quality
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.clean(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, path)
+    exact = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.sha2("decoded", 256)
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", exact.alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The outlier test and SimHash have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -247,6 +247,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.mapInArrow(run, schema)
 
 
+def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """rows with the bytes that a column of ids stands for (null ids: no bytes)."""
+    schema = common.extended(rows, (decoded, "binary"))
+    at = rows.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = {i: b for b, i in read_ranks(path).items()}
+        for batch in batches:
+            out = []
+            for value in batch.column(at):
+                decoder = Decoder(vocab)
+                out.append(decoder.feed(value.as_py() or ()) + decoder.finish())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: key, n_tokens, the SHA-256 of its decimal ids joined by commas, and of the decoded bytes."""
     kind = docs.schema[key].dataType.simpleString()

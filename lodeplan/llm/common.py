@@ -42,10 +42,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and every later use reads the same rows."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
