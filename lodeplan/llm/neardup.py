@@ -9,7 +9,10 @@ Equal sets are one class from the start.  Within a bucket every class is compare
 first class only, so a group of copies costs one comparison for each member and band, not for each
 pair.  That leaves open only pairs of one bucket whose classes are still in different components; these
 are compared in a second round, so no link between components is lost, and pairs within a component
-need no confirmation.
+need no confirmation.  The second round leaves out, exactly, what can't be a link: a set's odd sketch has
+ODD bits, one of them flipped by each shingle, so the bits in which two sketches differ are at most the
+shingles in which the sets do.  A copy edited too much to be linked is so told from a family of thousands
+by a few longs each.
 
 Memory is bounded by one batch of documents; links, components and sets stay in tables.
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, graph
 
-SHINGLE, PERMUTATIONS, BANDS, PERCENT = 4, 64, 32, 80
+SHINGLE, PERMUTATIONS, BANDS, PERCENT, ODD = 4, 64, 32, 80, 1024
 _rng = np.random.default_rng(20_260_901)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -105,8 +108,13 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text, *_row(key, text)).mapInArrow(run, f"id {kind}, r1 bigint, r2 bigint, n bigint, fp binary, bands array<bigint>")
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    flips = np.bincount((values >> np.uint64(32)).astype(np.int64) % ODD, minlength=ODD)
+    return np.packbits(flips % 2 == 1).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """nid and set, for the classes of wanted (nid, id, fp): read again from one document of each."""
+    """nid, set and odd sketch, for the classes of wanted (nid, id, fp): read again from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,12 +122,12 @@ def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
             for i, j in common.chunks(offsets):
                 own = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
                 same = [x for x in range(j - i) if _print(own[x]) == batch.column(2)[i + x].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j].take(pa.array(same, pa.int64())), pa.array([own[x].tobytes() for x in same], pa.binary())], ["nid", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j].take(pa.array(same, pa.int64())), pa.array([own[x].tobytes() for x in same], pa.binary()), pa.array([odd_sketch(own[x]) for x in same], pa.list_(pa.int64()))], ["nid", "set", "odd"])
 
     hashed = docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"))
     rows = hashed.join(wanted.select(F.xxhash64("id").alias("h"), "nid", "fp"), "h").select("t", "nid", "fp")
     # two documents with one id may both have the class's set
-    return rows.mapInArrow(run, "nid bigint, set binary").dropDuplicates(["nid"])
+    return rows.mapInArrow(run, "nid bigint, set binary, odd array<bigint>").dropDuplicates(["nid"])
 
 
 def _confirm(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -152,12 +160,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     component, null where n_shingles is 0."""
     rows = common.keep(signatures(docs, key, text), "signatures")
     order = F.struct(F.col("id").isNull().alias("no"), "id", "r1", "r2")
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     classes = common.keep(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    placed = classes.select("nid", "n", F.explode("bands").alias("band"))
-    first = placed.groupBy("band").agg(F.min(F.struct("nid", "n")).alias("lo"), F.max("nid").alias("hi")).where("lo.nid != hi").select("band", "lo")
+    # the first of a bucket is the class of most rows, then of the smallest id: in a family that is likely the original
+    rank = F.struct((-F.col("copies")).alias("c"), F.col("best.id").alias("o"), "nid", "n")
+    placed = classes.select("nid", "n", rank.alias("rank"), F.explode("bands").alias("band"))
+    first = placed.groupBy("band").agg(F.min("rank").alias("lo"), F.min("nid").alias("a"), F.max("nid").alias("b")).where("a != b").select("band", "lo")
     shared = common.keep(placed.join(first, "band").select("band", "nid", "n", F.col("lo.nid").alias("hub"), F.col("lo.n").alias("hub_n")), "buckets")
     stars = common.keep(shared.where((F.col("nid") != F.col("hub")) & _sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct(), "stars")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = shared.select("nid").distinct()
     full = common.keep(_full_sets(docs, key, text, classes.select("nid", F.col("best.id").alias("id"), "fp").join(members, "nid")), "sets")
     links = common.keep(_confirm(stars, full), "confirmed")
@@ -166,10 +177,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     mine = F.coalesce(F.col("comp"), F.col("nid"))
     labelled = shared.select("band", "nid", "n", "hub").join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("band", "nid", "n", "hub", mine.alias("comp"))
     of_hub = labelled.where("nid = hub").select("band", F.col("comp").alias("hub_comp"))
-    strangers = labelled.join(of_hub, "band").where("comp != hub_comp").select("band", "nid", "n", "comp")
-    strangers = common.keep(strangers, "strangers")
-    other = labelled.select("band", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    open_pairs = strangers.join(other, "band").where((F.col("comp") != F.col("comp2")) & _sized("n", "n2")).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = labelled.join(of_hub, "band").withColumn("strange", F.col("comp") != F.col("hub_comp"))
+    mixed = mixed.join(full.select("nid", "odd"), "nid")
+    mixed = common.keep(mixed.select("band", "nid", "n", "comp", "strange", "odd"), "mixed")
+    strangers = mixed.where("strange").select("band", F.col("nid").alias("nid1"), F.col("n").alias("n1"), F.col("comp").alias("comp1"), F.col("odd").alias("odd1"))
+    differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("odd1", F.lit(k)))) for k in range(1, ODD // 64)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("odd1", F.lit(0)))))
+    # similar sets of n and n1 shingles differ in at most this share of n + n1
+    reachable = _sized("n", "n1") & (differ * (100 + PERCENT) <= (F.col("n") + F.col("n1")) * (100 - PERCENT))
+    # of two strangers, either would find the pair: the one with the smaller nid does
+    once = ~F.col("strange") | (F.col("nid1") < F.col("nid"))
+    open_pairs = strangers.join(mixed, "band").where((F.col("comp") != F.col("comp1")) & once & reachable).select(F.least("nid", "nid1").alias("a"), F.greatest("nid", "nid1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = common.keep(_confirm(open_pairs, full), "confirmed")
     if not more.isEmpty():
         comps = common.keep(graph.components(links.union(more)), "components")
