@@ -80,7 +80,19 @@ class Engine:
     def open(cls, spark: SparkSession, root: str, **more: Any) -> Engine:
         """Also removes the folders of tables that the catalog doesn't name."""
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return cls(spark, root, **more)
+        engine = cls(spark, root, **more)
+        engine._remove_orphans()
+        return engine
+
+    def _remove_orphans(self) -> None:
+        """Folders of tables whose drop was logged and then interrupted."""
+        base = f"{self.root}/tenants"
+        for tenant in self.files.folders(base):
+            for database in self.files.folders(f"{base}/{tenant}/databases"):
+                known = self.catalog.now.databases.get((tenant, database), {})
+                for table in self.files.folders(f"{base}/{tenant}/databases/{database}/tables"):
+                    if table not in known:
+                        self.files.delete(f"{base}/{tenant}/databases/{database}/tables/{table}")
 
     # ------------------------------------------------------------------ names
 

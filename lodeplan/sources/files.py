@@ -31,6 +31,11 @@ class Files:
             raise EngineError("storage_error", str(error.java_exception)) from None
         return sorted((f.getPath().getName(), f.getLen()) for f in found if f.isFile())
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder; none for one that isn't there."""
+        target, fs = self._at(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(target) if f.isDirectory()) if fs.exists(target) else []
+
     def walk(self, path: str) -> list[tuple[str, int]]:
         """Full paths and sizes of all Parquet files at or below a path."""
         target, fs = self._at(path)

@@ -178,6 +178,14 @@ def test_reopening_and_crumbs(home, spark):
     assert again.query(ctx, {"table": "leads"}).stats.rows_returned == 40
 
 
+def test_opening_removes_tables_that_were_dropped(home, spark):
+    engine, ctx = home
+    engine.catalog.change(kind="drop_table", tenant=ctx.tenant, database="crm", table="leads")  # and then the crash
+    assert engine.files.folders(f"{engine.root}/tenants/local/databases/crm/tables") == ["leads"]
+    again = Engine.open(spark, engine.root)
+    assert again.files.folders(f"{engine.root}/tenants/local/databases/crm/tables") == [] and again.list_tables(ctx) == []
+
+
 def test_the_loser_of_a_race_gets_an_error(home, spark):
     engine, ctx = home
     store = engine._store(ctx, "leads")
