@@ -23,13 +23,14 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
 #: Of one worker: entries of the piece cache, states of the machine and pairs known before each starts anew.
-PIECES, STATES, PAIRS = 400_000, 200_000, 1_000_000
+PIECES, STATES, PAIRS = 120_000, 100_000, 500_000
 #: Bytes after which tokens that all live guesses agree on are emitted at the latest.
 LOOKAHEAD = 4096
 _NONE, _DEAD = -1, -2
@@ -175,6 +176,9 @@ class Encoder:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def _miss(self, piece: str) -> tuple[int, ...]:
         got = self.older.get(piece) or self.machine.encode(piece.encode())
         if len(piece) <= 40:
@@ -233,16 +237,27 @@ def load(path: str, pattern: str) -> Encoder:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids."""
-    schema = common.extended(docs, (ids, "array<int>"))
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """docs with a column of token ids; with round_trip, also whether they decode to the text's bytes."""
+    schema = common.extended(docs, (ids, "array<int>"), *([(round_trip, "boolean")] if round_trip else []))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
+        vocab = encoder.machine.vocab
         for batch in batches:
-            out = pa.array([encoder.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [f.name for f in schema.fields])
+            own, exact = [], []
+            for value in batch.column(at):
+                t = value.as_py() or ""
+                found = encoder.encode(t)
+                own.append(np.array(found, np.int32))
+                if round_trip:
+                    decoder = Decoder(vocab)
+                    exact.append(decoder.feed(found) + decoder.finish() == t.encode())
+            cuts = np.cumsum([0, *map(len, own)], dtype=np.int32)
+            out = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*own, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out, *([pa.array(exact, pa.bool_())] if round_trip else [])], schema.names)
+        encoder.forget()  # what the next task of this worker may not need
 
     return docs.mapInArrow(run, schema)
 
@@ -258,7 +273,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
             out = []
             for value in batch.column(at):
                 decoder = Decoder(vocab)
-                out.append(decoder.feed(value.as_py() or ()) + decoder.finish())
+                out.append(decoder.feed(value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else ()) + decoder.finish())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
