@@ -15,7 +15,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shuffle, the join back to links splits under skew, and every round is written to the shared folder.
     Self links name a node without joining it to others; null ends are dropped; no links, no rows."""
     stars = common.keep(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    before = None
     while True:
         # large star: larger neighbours of u, and u itself, to the smallest neighbour
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,8 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         stars = common.keep(small.where("u >= v").distinct(), "stars")
-        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
+        # done once every link ends at a node that has no smaller one, and no node has two such ends
+        ends = F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        roles = stars.where("u > v").select(F.inline(ends)).groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if roles.where("down > 1 or (down = 1 and up = 1)").isEmpty():
             break
-        before = now
     return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
