@@ -167,9 +167,11 @@ class Transducer:
 class Encoder:
     """Texts to ids: the pattern's matches one after another, each through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int | None = None):
         import regex
 
+        self.pieces = pieces or PIECES
+
         # the regex module's \s also has U+001C..1F, which White_Space lacks
         self.find = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.machine = Transducer(ranks)
@@ -182,7 +184,7 @@ class Encoder:
     def _miss(self, piece: str) -> tuple[int, ...]:
         got = self.older.get(piece) or self.machine.encode(piece.encode())
         if len(piece) <= 40:
-            if len(self.cache) >= PIECES:
+            if len(self.cache) >= self.pieces:
                 self.cache, self.older = {}, self.cache
             self.cache[piece] = got
         return got
@@ -222,7 +224,7 @@ class Decoder:
         return rest
 
 
-_loaded: dict[tuple[str, str], Encoder] = {}
+_loaded: dict[tuple, Encoder] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -230,11 +232,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def load(path: str, pattern: str) -> Encoder:
+def load(path: str, pattern: str, pieces: int | None = None) -> Encoder:
     """The encoder of a rank file, once for each Python worker."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+    if (path, pattern, pieces) not in _loaded:
+        _loaded[path, pattern, pieces] = Encoder(read_ranks(path), pattern, pieces)
+    return _loaded[path, pattern, pieces]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
@@ -279,12 +281,13 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key, n_tokens, the SHA-256 of its decimal ids joined by commas, and of the decoded bytes."""
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", pieces: int | None = None) -> DataFrame:
+    """For each row: key, n_tokens, the SHA-256 of its decimal ids joined by commas, and of the decoded bytes.
+    pieces: entries of each worker's piece cache, about 250 bytes each."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(path, pattern)
+        encoder = load(path, pattern, pieces)
         vocab = encoder.machine.vocab
         decimal = {i: str(i) for i in vocab}
         for batch in batches:
