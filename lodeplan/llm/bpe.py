@@ -241,6 +241,7 @@ def load(path: str, pattern: str, pieces: int | None = None) -> Encoder:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """docs with a column of token ids; with round_trip, also whether they decode to the text's bytes."""
+    common.small_batches(docs.sparkSession)
     schema = common.extended(docs, (ids, "array<int>"), *([(round_trip, "boolean")] if round_trip else []))
     at = docs.columns.index(text)
 
@@ -266,6 +267,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """rows with the bytes that a column of ids stands for (null ids: no bytes)."""
+    common.small_batches(rows.sparkSession)
     schema = common.extended(rows, (decoded, "binary"))
     at = rows.columns.index(ids)
 
@@ -284,6 +286,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", pieces: int | None = None) -> DataFrame:
     """For each row: key, n_tokens, the SHA-256 of its decimal ids joined by commas, and of the decoded bytes.
     pieces: entries of each worker's piece cache, about 250 bytes each."""
+    common.small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

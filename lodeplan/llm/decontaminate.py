@@ -175,6 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
     appended to these three where docs has such columns)."""
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
+    common.small_batches(spark)
     names = tuple(common.free_name(docs, n) for n in ("n_words", "hit_ranges", "hit_items"))
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
     total = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0

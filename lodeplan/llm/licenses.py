@@ -200,6 +200,7 @@ _scanners: dict[tuple, Scanner] = {}
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, n_words, n_licenses, best_license, best_coverage, and every region with its words and characters."""
+    common.small_batches(docs.sparkSession)
     templates = templates or TEMPLATES
     kind = docs.schema[key].dataType.simpleString()
     region = pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64())])

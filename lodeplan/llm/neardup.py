@@ -158,6 +158,7 @@ def _sized(a: str, b: str):
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, r1, r2, n_shingles and best of every row: best (no, id, r1, r2) is the row of the smallest id in its
     component, null where n_shingles is 0."""
+    common.small_batches(docs.sparkSession)
     rows = common.keep(signatures(docs, key, text), "signatures")
     order = F.struct(F.col("id").isNull().alias("no"), "id", "r1", "r2")
     classes = rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe
+from . import bpe, common
 
 SEQ_LEN, BLOCK_TOKENS = 2048, 1 << 21
 ID_TYPE = np.dtype("<u2")
@@ -102,6 +102,7 @@ def pack_block(docs: list[tuple[object, np.ndarray]], size: int, pad: int) -> It
 
 def pack(docs: DataFrame, path: str, pattern: str, end: int, seq_len: int = SEQ_LEN, block_tokens: int = BLOCK_TOKENS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """path: the rank file; end: the id after each document, also what fills rows up."""
+    common.small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,6 +134,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], odds: float, seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    common.small_batches(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     yes, no = counts.get(1, 0), counts.get(0, 0)
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
