@@ -11,7 +11,8 @@ products and thresholds are exact and do not depend on the order of rows.  A gro
 from counts in bins of the distance, combined before the shuffle, so a source with a third of all rows
 costs one partial count for each task; no group is ever gathered.  What is joined back to the rows is
 one line of parameters for each group, broadcast only while there are at most BROADCAST_GROUPS of them.
-Groups of fewer than MIN_GROUP texts are judged with those of their language, or with all.
+Groups of fewer than MIN_GROUP texts are judged by the estimate from all texts of their language, or, where
+those are fewer too, from all texts.
 
 Edge cases: null and empty texts have no words and fail the base rule; a text of any length is one row;
 null lang or source are a group of their own; equal rows have equal statistics, and a group of nothing
@@ -168,7 +169,11 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
     def attach(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
         return left.join(F.broadcast(right) if small else right, on, how)
 
-    vectors = attach(usable.select(pair.alias("pair"), *names), groups, "pair").select("g", *names)
+    # a text counts wherever one is judged: in its pair, and in its language and in all if a small pair borrows from them
+    judging = groups.select("g").distinct()
+    feeds = sizes.select("pair", F.explode(F.array(F.concat(F.lit("p"), "pair"), F.concat(F.lit("l"), "own"), F.lit("all"))).alias("g")).join(judging, "g")
+    feeds = common.keep(feeds, "feeds")
+    vectors = attach(usable.select(pair.alias("pair"), *names), feeds, "pair").select("g", *names)
     parameters = common.keep(_median(vectors, names), "start")
     for _ in range(STEPS):
         near = attach(vectors, parameters, "g").select("g", *names, F.floor(F.log1p(_distance(names)) * BINS).cast("int").alias("bin"))

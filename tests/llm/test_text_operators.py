@@ -255,6 +255,21 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert rows[rows.quality == 1].kept.all() and not rows[rows.quality == 0].kept.any()
 
 
+def prose(rng, junk=False, words=90):
+    own = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9))) for _ in range(words + rng.randrange(30))]
+    return " ".join(w + "#$%&|<>*" * 4 if junk else w for w in own)
+
+
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    rng = random.Random(3)
+    rows = [(k, prose(rng), "en", "large") for k in range(60)]
+    rows += [(100, prose(rng, True), "en", "one"), (101, prose(rng), "en", "other"), *((k, prose(rng, k > 111), "en", "few") for k in (110, 111, 112))]
+    rows += [(200, prose(rng, True), "xx", "one"), (201, prose(rng), "yy", None), (202, prose(rng, True), None, None)]
+    judged = quality.judge(docs_of(spark, rows).select("doc_id", "text", "lang", "source"), ["doc_id"]).collect()
+    assert len(judged) == len(rows) and not any(r.base_failed for r in judged)
+    assert {r.doc_id for r in judged if not r.kept} == {100, 112, 200, 202}
+
+
 def test_quality_on_odd_tables(spark):
     df = docs_of(spark, [r for r in ODD if r[1] is None or "퟿" not in r[1]])
     assert {(r.doc_id, r.kept) for r in quality.judge(df.select("doc_id", "text", "lang", "source"), ["doc_id"]).collect()} >= {(None, False), (1, False)}
