@@ -6,10 +6,12 @@ them are in order, and the gaps between anchors are aligned in the same way agai
 template's words that the alignment matches is its coverage; regions of at least ``coverage`` are
 reported with their place.
 
-A region is worth aligning only if its words can reach that coverage at all, so two exact bounds come
-first, both vectorised: the multiset of words that the document shares with the template, then the
-number of template words within any stretch as long as a match may be (STRETCH times the template and
-SLACK words).  Documents are neither shuffled nor cut.
+A region is worth aligning only if its words can reach that coverage at all, so three exact bounds come
+first: the set of words that the document shares with the template, the multiset of those within any
+stretch as long as a match may be (STRETCH times the template and SLACK words), and the longest common
+subsequence of such a stretch and the template, by bit vectors.  Every stretch that passes is aligned by
+itself, on the shortest part of it that has the subsequence; when a region is taken, what stretches over
+its edge is judged again by what lies before and after it.  Documents are neither shuffled nor cut.
 
 Edge cases: null, empty and wordless texts have no licenses; texts of any length are scanned whole;
 one template may occur several times and each region is reported; of regions that overlap, the one with
@@ -22,6 +24,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +136,8 @@ class Scanner:
         self.counts = np.zeros((len(self.vocabulary), len(self.names)), np.int32)
         for t, own in enumerate(self.templates):
             np.add.at(self.counts[:, t], own, 1)
+        # where in the template each word is, as bits, from either end
+        self.masks = [tuple({w: sum(1 << k for k, v in enumerate(way) if v == w) for w in set(way)} for way in (x, x[::-1])) for x in self.templates]
         self.bits = np.zeros(1 << 16, bool)
         self.bits[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
@@ -149,50 +154,99 @@ class Scanner:
         present[np.repeat(np.arange(n), np.diff(first)), ids] = 1
         bound = present @ self.counts.astype(np.float32)  # no text can match more of a template than this
         for row in range(n):
-            found = []
-            for t in np.flatnonzero(bound[row] >= self.need):
-                found += self._regions(t, at[first[row] : first[row + 1]] - words.first[row], ids[first[row] : first[row + 1]])
-            kept: list[tuple[int, int, int, int]] = []
-            for hit in sorted(found, key=lambda h: (-h[1], h[0], h[2])):
-                if all(hit[3] <= k[2] or hit[2] >= k[3] for k in kept):
-                    kept.append(hit)
+            known = slice(first[row], first[row + 1])
+            kept = self._regions(np.flatnonzero(bound[row] >= self.need), at[known] - words.first[row], ids[known])
             out = []
             for t, matched, a, b in sorted(kept, key=lambda h: (h[2], h[0])):
                 x, y = words.starts[words.first[row] + a], words.ends[words.first[row] + b - 1]
                 out.append((self.names[t], matched / len(self.templates[t]), a, b, *(int(np.count_nonzero(data[offsets[row] : z] & 0xC0 != 0x80)) for z in (x, y))))
             yield int(words.first[row + 1] - words.first[row]), out
 
-    def _regions(self, t: int, places: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, matched words, start, end) within one text, given the places and ids of its known words."""
-        own = self.counts[ids, t] > 0
-        places, ids = places[own], ids[own]
-        template, need = self.templates[t], self.need[t]
-        width = int(STRETCH * len(template)) + SLACK
-        ends = np.searchsorted(places, places + width)
-        dense = np.flatnonzero(ends - np.arange(len(places)) >= need)
-        out = []
-        k = 0
-        while k < len(dense):
-            a, b = int(dense[k]), int(ends[dense[k]])
-            while k + 1 < len(dense) and dense[k + 1] < b and ends[dense[k + 1]] - a <= 4 * len(template) + need:
-                k += 1
-                b = int(ends[dense[k]])
-            pairs = align(ids[a:b].tolist(), template)
-            # the stretch of admissible width that matches most
-            best = (0, 0, 0)
-            i = 0
-            for j in range(len(pairs)):
-                while places[a + pairs[j][0]] - places[a + pairs[i][0]] >= width:
-                    i += 1
-                best = max(best, (j - i + 1, -i, j))
-            if best[0] >= need:
-                i, j = -best[1], best[2]
-                out.append((t, best[0], int(places[a + pairs[i][0]]), int(places[a + pairs[j][0]]) + 1))
-                over = a + pairs[j][0] + 1
-                k = int(np.searchsorted(dense, over))
-            else:
-                k += 1
-        return out
+    def _regions(self, templates: np.ndarray, places: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(template, matched words, start, end) of regions that don't overlap, given the places and ids of one text's known words."""
+        own = {t: self._windows(t, places, ids) for t in templates.tolist()}
+        seen: dict[tuple[int, int, int], tuple[int, int, int] | None] = {}
+        todo: list[tuple[int, int, int, int, int, int]] = []
+
+        def propose(t: int, k: int, stop: int) -> None:
+            mine, which, _ = own[t]
+            if (t, k, stop) not in seen:
+                seen[t, k, stop] = self._best(t, which[k:stop])
+            if hit := seen[t, k, stop]:
+                matched, i, j = hit
+                x, y = int(mine[k + i]), int(mine[k + j - 1]) + 1
+                heappush(todo, (-matched, t, y - x, x, k, stop))
+
+        for t, (_, _, dense) in own.items():
+            for k, stop in dense:
+                propose(t, k, stop)
+        kept: list[tuple[int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        while todo:
+            less, t, span, x, k, stop = heappop(todo)
+            mine = own[t][0]
+            n = bisect_left(taken, (x + span, 0))
+            if n == 0 or taken[n - 1][1] <= x:
+                kept.append((t, -less, x, x + span))
+                taken.insert(n, (x, x + span))
+                continue
+            # what the window has before the first region taken within it, and after
+            n = bisect_left(taken, (int(mine[k]) + 1, 0))
+            begin = k if n == 0 or taken[n - 1][1] <= mine[k] else bisect_left(mine, taken[n - 1][1], k, stop)
+            for start, end in [*taken[n:], (int(mine[stop - 1]) + 1, 0)]:
+                edge = bisect_left(mine, start, begin, stop)
+                if edge - begin >= self.need[t] and (begin, edge) != (k, stop):
+                    propose(t, begin, edge)
+                if start > mine[stop - 1]:
+                    break
+                begin = bisect_left(mine, end, begin, stop)
+        return kept
+
+    def _windows(self, t: int, places: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """Places and ids of the text's words that the template has, and the stretches of admissible width from each of
+        them on that have enough of them, each word counted as often as the template has it."""
+        mine = self.counts[ids, t] > 0
+        places, ids = places[mine], ids[mine]
+        ends = np.searchsorted(places, places + int(STRETCH * len(self.templates[t])) + SLACK)
+        out: list[tuple[int, int]] = []
+        which, limit, need = ids.tolist(), self.counts[:, t].tolist(), self.need[t]
+        if (ends - np.arange(len(places)) >= need).any():
+            inside: dict[int, int] = {}
+            useful = stop = 0
+            for k, end in enumerate(ends.tolist()):
+                for w in which[stop:end]:
+                    inside[w] = inside.get(w, 0) + 1
+                    useful += inside[w] <= limit[w]
+                stop = end
+                if useful >= need:
+                    out.append((k, end))
+                w = which[k]
+                useful -= inside[w] <= limit[w]
+                inside[w] -= 1
+        return places.tolist(), which, out
+
+    def _best(self, t: int, window: list[int]) -> tuple[int, int, int] | None:
+        """The words that an alignment matches and the shortest stretch of the window that has as many in order as any, if
+        they are enough.  Where patience alone matches too few, the longest common subsequence counts."""
+        matched, stop = _common(window, self.masks[t][0], len(self.templates[t]))
+        if matched < self.need[t]:
+            return None
+        _, back = _common(window[:stop][::-1], self.masks[t][1], len(self.templates[t]))
+        aligned = len(align(window[stop - back : stop], self.templates[t]))
+        return aligned if aligned >= self.need[t] else matched, stop - back, stop
+
+
+def _common(window: list[int], masks: dict[int, int], size: int) -> tuple[int, int]:
+    """Length of the longest common subsequence with a template of size words, and the shortest prefix of the window
+    that has it; by bit vectors (Hyyro)."""
+    full = (1 << size) - 1
+    rest, best, stop = full, 0, 0
+    for n, w in enumerate(window):
+        use = rest & masks[w]
+        rest = (rest + use | rest - use) & full
+        if size - rest.bit_count() > best:
+            best, stop = size - rest.bit_count(), n + 1
+    return best, stop
 
 
 _scanners: dict[tuple, Scanner] = {}

@@ -189,6 +189,26 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def found_licenses(text):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    (_, found), = scanner.chunk(*common.buffers(pa.array([text])))
+    return [(f[0], f[1], text[f[4] : f[5]]) for f in found]
+
+
+def test_licenses_beside_noise_and_each_other():
+    notice, mit = "All rights reserved", licenses.TEMPLATES["MIT"].rstrip(".")
+    words = mit.split()
+    for gap in range(14):
+        assert found_licenses(f"all {'x ' * gap}{notice} {'y ' * gap}reserved") == [("all-rights-reserved", 1.0, notice)], gap
+    assert [c for _, c, _ in found_licenses(f"{notice}. {notice}. rights {notice}")] == [1.0] * 3
+    for lost in (1, len(words) // 2, len(words) - 1):
+        less = " ".join(words[:lost] + words[lost + 1 :])
+        for text in ([less, mit], [mit, less], [less, less, less], [mit, "permission of software", less, notice, mit]):
+            got = found_licenses(" . ".join(text))
+            assert [n for n, _, _ in got] == ["all-rights-reserved" if x == notice else "MIT" for x in text if "of software" not in x or len(x) > 30], (lost, text)
+            assert all(c >= licenses.COVERAGE for _, c, _ in got)
+
+
 # ------------------------------------------------------------------ quality
 
 
