@@ -5,14 +5,16 @@ import gzip
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, same
 from pyspark.sql import functions as F
 
-from lodeplan.llm import graph, lines, neardup, oracles, warc
+from lodeplan.llm import common, graph, lines, neardup, oracles, warc
 
 
 class Union(dict):
@@ -192,6 +194,31 @@ def test_any_number_of_blocks_finds_the_same_pairs(spark):
         assert len(found) == len(set(map(tuple, found))) and set(map(tuple, found)) == want, blocks
 
 
+def whole_normal(line):
+    text = re.sub("[0-9]+", "0", line.lower())
+    return " ".join("".join(c if c == "0" or unicodedata.category(c)[0] in "LM" else " " for c in text).split())
+
+
+def test_folding_beyond_ascii():
+    rng = random.Random(12)
+    chars = ["a", "B", " ", "7", ".", "é", "É", "ß", "ẞ", "İ", "K", "“", "—", "\u00a0", "、", "中", "文", "e\u0301", "𝒜", "😀", "Ж", "ж", "²", "\u2028", "\x00"]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(9))) for _ in range(3000)] + ["É", "é"]
+    data, offsets = common.buffers(pa.array(texts))
+    full, _, h1, h2, _ = lines.hashes(data, offsets)
+    keys = [whole_normal(t) for t in texts]
+    assert full.tolist() == [k for k, key in enumerate(keys) if key]
+    of = {}
+    for k, *h in zip(full.tolist(), h1.tolist(), h2.tolist()):
+        of.setdefault(keys[k], set()).add(tuple(h))
+    assert all(len(v) == 1 for v in of.values()) and len(set.union(*of.values())) == len(of)
+
+
+def test_accented_and_typographic_variants_are_one_line(spark):
+    pairs = [("Été à la plage", "ÉTÉ À LA PLAGE"), ("“Read more” — here", '"Read more" - here'), ("no\u00a0break", "no break"), ("你好、世界。", "你好 世界"), ("ЖУРНАЛ", "журнал")]
+    df = spark.createDataFrame([(0, "\n".join(a for a, _ in pairs)), (1, "\n".join(b for _, b in pairs) + "\nete a la plage")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_dropped, r.text) for r in lines.deduplicate(df).collect()} == {0: (0, "\n".join(a for a, _ in pairs)), 1: (5, "ete a la plage")}
+
+
 def test_edit_distance():
     rng = random.Random(11)
     for _ in range(400):
