@@ -37,9 +37,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one of our own only where the session has none."""
+    """The folder of spark.checkpoint.dir; a local one of our own only where a local session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodeplan-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,11 +54,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and every later use reads the same rows."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     del df
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
     return spark.read.schema(schema).parquet(path)
@@ -68,6 +70,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables of a session (of all sessions, for None)."""
     for item in [x for x in _made if spark is None or x[0] is spark]:
@@ -157,7 +164,8 @@ def chunks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]
 class Words:
     """The words of some texts: starts and ends in bytes, first[i]:first[i+1] the words of text i, 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, hashes: bool = True, cuts: np.ndarray | None = None):
+        """cuts: where a word ends and another begins although no separator is there."""
         global _pw
         self.bytes = low = kinds[data]
         n = len(low)
@@ -166,9 +174,11 @@ class Words:
         if n:
             begin[1:] &= ~inside[:-1]
             end[:-1] &= ~inside[1:]
-            edges = offsets[:-1][offsets[:-1] < n]
+            edges = offsets[:-1] if cuts is None else np.concatenate([offsets[:-1], cuts])
+            edges = edges[edges < n]
             begin[edges] = inside[edges]
-            edges = offsets[1:][offsets[1:] > 0] - 1
+            edges = offsets[1:] if cuts is None else np.concatenate([offsets[1:], cuts])
+            edges = edges[edges > 0] - 1
             end[edges] = inside[edges]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
