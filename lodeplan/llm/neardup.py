@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing (operator 9).
 
-A document is its set of SHINGLE-word shingles.  Each of PERMUTATIONS hash functions is evaluated once
+A document is its set of shingles of four words (five in ``clean``).  Each of PERMUTATIONS hash functions is evaluated once
 and gives two signature values, the minimum and the maximum over the set; BANDS bands of four values
 propose pairs.  Two sets of similarity 0.8 share no band once in about 10^7 times; whatever a band
 proposes is confirmed on the full sets.
@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, graph
 
-SHINGLE, PERMUTATIONS, BANDS, PERCENT, ODD = 4, 64, 32, 80, 1024
+#: Words of a shingle: of the query by its contract, and of the pipeline's stage.
+SHINGLE, STAGE_SHINGLE = 4, 5
+PERMUTATIONS, BANDS, PERCENT, ODD = 64, 32, 80, 1024
 _rng = np.random.default_rng(20_260_901)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -92,7 +94,7 @@ def _row(key: str, text: str) -> list[Column]:
     return [F.xxhash64(key, text).alias("r1"), F.xxhash64(F.lit("r"), text, key).alias("r2")]
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """id, r1, r2 (of the row), n, fp (of the set), bands."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -100,7 +102,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             data, offsets = common.buffers(batch.column(1))
             for i, j in common.chunks(offsets):
-                own = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
+                own = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 keys = bands(own).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], pa.array([len(s) for s in own], pa.int64()), pa.array([_print(s) for s in own], pa.binary()), lists], ["id", "r1", "r2", "n", "fp", "bands"])
@@ -113,21 +115,19 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(flips % 2 == 1).view(np.int64)
 
 
-def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """nid, set and odd sketch, for the classes of wanted (nid, id, fp): read again from one document of each."""
+def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """nid, set and odd sketch, for the classes of wanted (nid, r1, r2): read again from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column(0))
             for i, j in common.chunks(offsets):
-                own = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
-                same = [x for x in range(j - i) if _print(own[x]) == batch.column(2)[i + x].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j].take(pa.array(same, pa.int64())), pa.array([own[x].tobytes() for x in same], pa.binary()), pa.array([odd_sketch(own[x]) for x in same], pa.list_(pa.int64()))], ["nid", "set", "odd"])
+                own = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([odd_sketch(x) for x in own], pa.list_(pa.int64()))], ["nid", "set", "odd"])
 
-    hashed = docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"))
-    rows = hashed.join(wanted.select(F.xxhash64("id").alias("h"), "nid", "fp"), "h").select("t", "nid", "fp")
-    # two documents with one id may both have the class's set
-    return rows.mapInArrow(run, "nid bigint, set binary, odd array<bigint>").dropDuplicates(["nid"])
+    # rows that repeat id and text are one, combined before the shuffle
+    rows = docs.select(*_row(key, text), F.col(text).alias("t")).join(wanted, ["r1", "r2"]).select("t", "nid")
+    return rows.groupBy("nid").agg(F.first("t").alias("t")).select("t", "nid").mapInArrow(run, "nid bigint, set binary, odd array<bigint>")
 
 
 def _confirm(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -155,11 +155,11 @@ def _sized(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, r1, r2, n_shingles and best of every row: best (no, id, r1, r2) is the row of the smallest id in its
     component, null where n_shingles is 0."""
     common.small_batches(docs.sparkSession)
-    rows = common.keep(signatures(docs, key, text), "signatures")
+    rows = common.keep(signatures(docs, key, text, shingle), "signatures")
     order = F.struct(F.col("id").isNull().alias("no"), "id", "r1", "r2")
     classes = rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     classes = common.keep(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
@@ -171,7 +171,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     stars = common.keep(shared.where((F.col("nid") != F.col("hub")) & _sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct(), "stars")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = shared.select("nid").distinct()
-    full = common.keep(_full_sets(docs, key, text, classes.select("nid", F.col("best.id").alias("id"), "fp").join(members, "nid")), "sets")
+    full = common.keep(_full_sets(docs, key, text, classes.select("nid", "best.r1", "best.r2").join(members, "nid"), shingle), "sets")
     links = common.keep(_confirm(stars, full), "confirmed")
     comps = common.keep(graph.components(links), "components")
     # pairs of a bucket that are not in one component yet
@@ -198,19 +198,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.select("id", "r1", "r2", "n", "fp").join(labels, "fp", "left").select("id", "r1", "r2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).alias("best"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    out = groups(docs)
+    out = groups(docs, shingle=shingle)
     comp = F.when(F.col("n_shingles") > 0, F.col("best.id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
     """docs with one row of each group: that of the smallest id."""
-    out = groups(docs, key, text).where("n_shingles > 0").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.first("best").alias("best"))
-    marked = docs.select("*", F.xxhash64(key, text).alias("__r1"), F.xxhash64(F.lit("r"), text, key).alias("__r2"))
+    r1, r2, n = (common.free_name(docs, x) for x in ("r1", "r2", "n"))
+    out = groups(docs, key, text, shingle).where("n_shingles > 0").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.first("best").alias("best"))
+    marked = docs.select("*", *(c.alias(x) for c, x in zip(_row(key, text), (r1, r2))))
     lose = (F.col("best.r1") != F.col("r1")) | (F.col("best.r2") != F.col("r2"))
-    fate = out.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.when(lose, 0).otherwise(F.col("n")).alias("__n")).where("__n != 1")
-    judged = marked.join(fate, ["__r1", "__r2"], "left").where("__n is null or __n > 1")
-    once = judged.where("__n is null").unionByName(judged.where("__n > 1").dropDuplicates(["__r1", "__r2"]))
-    return once.select(*docs.columns)
+    fate = out.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.when(lose, 0).otherwise(F.col("n")).alias(n)).where(F.col(n) != 1)
+    judged = marked.join(fate, [r1, r2], "left").where(F.col(n).isNull() | (F.col(n) > 1))
+    once = judged.where(F.col(n).isNull()).unionByName(judged.where(F.col(n) > 1).dropDuplicates([r1, r2]))
+    return once.select(*(f"`{c}`" for c in docs.columns))

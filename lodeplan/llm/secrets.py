@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
@@ -77,10 +76,7 @@ def scan(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule
     rule, start, end; rule is null where a scan of the blob found nothing."""
     spark = versions.sparkSession
     blobs = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    try:
-        past = spark.read.parquet(ledger)
-    except AnalysisException:  # no ledger yet
-        past = None
+    past = spark.read.parquet(ledger) if common.exists(spark, ledger) else None
     if past is None:
         fresh = blobs.dropDuplicates(["blob"]).withColumn("seen", F.array().cast("array<string>"))
     else:
@@ -107,7 +103,7 @@ def findings(versions: DataFrame, ledger: DataFrame, carry: list[str], text: str
     names = F.array(*(F.lit(r.name) for r in rules))
     place = F.element_at(kinds, F.col("rule"))
     found = ledger.where(F.col("rule").isin([r.id for r in rules])).select("blob", F.struct("start", place.alias("k"), "end", F.get(names, place).alias("kind")).alias("s"))
-    by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
     paths = versions.select(*carry, address(F.col(text)).alias("blob"))
     empty = F.array().cast(by_blob.schema["spans"].dataType)
     return paths.join(by_blob, "blob", "left").select(*carry, "blob", F.coalesce("spans", empty).alias("spans"))
