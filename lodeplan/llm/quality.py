@@ -3,8 +3,9 @@
 Base rules are counts within a text.  The method judges a text by a vector of transformed statistics
 (DIMENSIONS), against the texts of its language and source: the minimum-covariance-determinant estimate
 is the mean and covariance of the SUPPORT share of them that lies closest together, reached by
-concentration steps (distances, the closest share, its mean and covariance, again), and a text goes
-where its Mahalanobis distance exceeds CUTOFF.
+STEPS concentration steps (distances, the closest share, its mean and covariance, again) from one robust
+start, the medians and median absolute deviations.  SUPPORT is half, so junk may be nearly half of a group
+without hiding itself.  A text goes where its squared Mahalanobis distance exceeds CUTOFF.
 
 Everything is DataFrame operations.  Statistics are fixed-point integers (SCALE units), so sums,
 products and thresholds are exact and do not depend on the order of rows.  A group's quantile comes
@@ -29,11 +30,11 @@ from . import common
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SCALE, BINS = 1024, 32
-SUPPORT, STEPS, CUTOFF, MIN_GROUP, BROADCAST_GROUPS = 0.75, 3, 60.0, 50, 20_000
+SUPPORT, STEPS, CUTOFF, MIN_GROUP, BROADCAST_GROUPS = 0.5, 6, 60.0, 50, 20_000
 #: Names of the transformed statistics and the least standard deviation that each is granted.
 DIMENSIONS = {"x_length": 0.30, "x_word": 0.10, "x_symbols": 0.35, "x_lines": 0.35, "x_repeats": 0.35}
 #: Mean of the squared distance of the closest SUPPORT share of a normal sample in five dimensions, over 5: makes the estimate consistent.
-_CONSISTENCY = 0.6277
+_CONSISTENCY = 0.5230
 _SPACE, _TEXT = r"[ \t\n\x0B\f\r]+", " \t\n\x0b\f\r"
 
 

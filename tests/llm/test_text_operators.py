@@ -269,6 +269,18 @@ def test_outliers_are_those_of_the_plain_algorithm(spark):
     assert not judged[judged.base_failed].kept.any()
 
 
+def test_much_junk_does_not_hide_itself(spark):
+    """Two in five texts of a source are junk of one kind, and one source has a single text, also junk."""
+    rng = random.Random(3)
+
+    def text(junk):
+        return " ".join(("###$$$***" if junk and rng.random() < 0.5 else "") + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(90, 160)))
+
+    rows = [(k, text(k % 5 < 2), "en", "a") for k in range(300)] + [(300, text(True), "en", "rare"), (301, text(False), "en", "rare")]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert kept == {k: k % 5 >= 2 for k in range(300)} | {300: False, 301: True}
+
+
 def test_quality_keeps_good_and_rejects_bad(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["doc_id"]).join(labels, "doc_id").where("not base_failed").toPandas()
