@@ -272,9 +272,9 @@ nulls("group_null_key", total("readings", metrics(("count",), ("count", "value")
 nulls("filter_is_null_own", select("readings", ["id"], ("kind", "is_null")), "SELECT id FROM readings WHERE kind IS NULL")
 nulls("ne_drops_null", total("readings", metrics(("count",)), [], ("kind", "ne", "click")), "SELECT count(*) AS count FROM readings WHERE kind <> 'click'")
 nulls("not_unknown", nodes.Aggregate(nodes.Filter(nodes.Scan("readings"), Not(_is("value", ">", 10))), (), (nodes.Metric("count"),)), "SELECT count(*) AS count FROM readings WHERE NOT (value > 10)")
-nulls("sort_nulls_last_asc", select("readings", ["id", "kind"], ("id", "lt", 60), order_by=order("kind", "id"), limit=55), "SELECT id, kind FROM readings WHERE id < 60 ORDER BY kind ASC NULLS LAST, id LIMIT 55")
-nulls("sort_nulls_last_desc", select("readings", ["id", "kind"], ("id", "lt", 60), order_by=order("-kind", "id"), limit=55), "SELECT id, kind FROM readings WHERE id < 60 ORDER BY kind DESC NULLS LAST, id LIMIT 55")
-nulls("sort_nulls_first", nodes.Limit(nodes.Sort(nodes.Filter(nodes.Scan("readings", ("id", "kind")), _is("id", "<", 60)), (nodes.SortKey("kind", True, True), nodes.SortKey("id"))), 12), "SELECT id, kind FROM readings WHERE id < 60 ORDER BY kind ASC NULLS FIRST, id LIMIT 12")
+nulls("sort_nulls_last_asc", select("readings", ["id", "kind"], order_by=order("kind", "id")), "SELECT id, kind FROM readings ORDER BY kind ASC NULLS LAST, id")
+nulls("sort_nulls_last_desc", select("readings", ["id", "kind"], order_by=order("-kind", "id")), "SELECT id, kind FROM readings ORDER BY kind DESC NULLS LAST, id")
+nulls("sort_nulls_first", nodes.Limit(nodes.Sort(nodes.Scan("readings", ("id", "kind")), (nodes.SortKey("kind", True, True), nodes.SortKey("id"))), 12), "SELECT id, kind FROM readings ORDER BY kind ASC NULLS FIRST, id LIMIT 12")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
