@@ -8,9 +8,10 @@ start, the medians and median absolute deviations.  SUPPORT is half, so junk may
 without hiding itself.  A text goes where its squared Mahalanobis distance exceeds CUTOFF.
 
 Everything is DataFrame operations.  Statistics are fixed-point integers (SCALE units), so sums,
-products and thresholds are exact and do not depend on the order of rows.  A group's quantile comes
-from counts in bins of the distance, combined before the shuffle, so a source with a third of all rows
-costs one partial count for each task; no group is ever gathered.  What is joined back to the rows is
+products and thresholds are exact and do not depend on the order of rows.  A concentration step is one
+pass: counts and moments by group and bin of the distance, combined before the shuffle, of which the
+closest bins add up to the next estimate; so a source with a third of all rows costs some partial sums
+for each task, and no group is ever gathered.  What is joined back to the rows is
 one line of parameters for each group, broadcast only while there are at most BROADCAST_GROUPS of them.
 Groups of fewer than MIN_GROUP texts are judged by the estimate from all texts of their language, or, where
 those are fewer too, from all texts.
@@ -24,7 +25,7 @@ columns named.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -116,6 +117,16 @@ def _moments(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
+def _closest(binned: DataFrame, names: list[str]) -> DataFrame:
+    """Moments of each group's closest bins: those that begin below the SUPPORT share.  A group has at most some
+    hundred bins, whatever its size, so its window is short."""
+    group = Window.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    close = binned.withColumn("before", before).withColumn("total", F.sum("n").over(group)).where(F.col("before") < F.col("total") * SUPPORT)
+    sums = [f"s{i}" for i in range(len(names))] + [f"p{i}{j}" for i in range(len(names)) for j in range(i + 1)]
+    return close.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
 def _parameters(moments: DataFrame, keys: list[str], names: list[str], factor: float) -> DataFrame:
     """Mean and lower Cholesky factor of covariance / factor plus the ridge, for each group."""
     n, d = F.col("n"), len(names)
@@ -178,11 +189,7 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
     parameters = common.keep(_median(vectors, names), "start")
     for _ in range(STEPS):
         near = attach(vectors, parameters, "g").select("g", *names, F.floor(F.log1p(_distance(names)) * BINS).cast("int").alias("bin"))
-        counts = near.groupBy("g", "bin").count().groupBy("g").agg(F.sum("count").alias("total"), F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("bins"))
-        upto = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at")), lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.when(a["at"].isNull() & ((a["seen"] + x["count"]) >= F.col("total") * SUPPORT), x["bin"]).otherwise(a["at"]).alias("at")))
-        limits = counts.select("g", upto["at"].alias("limit"))
-        close = attach(near, limits, "g").where(F.col("bin") <= F.col("limit"))
-        parameters = common.keep(_parameters(_moments(close, ["g"], names), ["g"], names, _CONSISTENCY), "step")
+        parameters = common.keep(_parameters(_closest(_moments(near, ["g", "bin"], names), names), ["g"], names, _CONSISTENCY), "step")
     judged = attach(attach(rows.withColumn("pair", pair), groups, "pair", "left"), parameters, "g", "left")
     distance = F.when(F.col("base_failed"), None).otherwise(_distance(names))
     return judged.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))
