@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -99,6 +99,25 @@ def extended(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(kind)) for n, kind in more)])
 
 
+#: A key with more than one in so many of the rows is hot, so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; the rows of hot keys are dealt out by a salt.
+
+    counts has the keys and n, the rows that left has of each (keys that right lacks may be missing).  A hot key
+    gets one salt for each thousandth of all rows that it holds.  So what is broadcast, hot keys and their
+    salts, is below HOT_SHARE rows whatever left's size, and right's copies for all salts are below 2 * HOT_SHARE.
+    left must be a table or a projection of one, so that a task that is run again deals its rows out alike."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT_SHARE > total).select(*on, F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts).cast("int")).drop("__salts")
+    copies = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 # --------------------------------------------------------------------------- words in Arrow buffers
 
 

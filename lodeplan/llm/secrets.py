@@ -8,7 +8,7 @@ changed file is a new blob.
 
 All of it is DataFrame operations.  A match's place is the length of what the pattern splits off before
 it plus the matches before it, a running sum over the matches of one blob.  Copies are combined before
-the shuffle; the join back to paths carries an address each, and splits under skew.
+the shuffle; the join back to paths carries an address each, and blobs of many paths are dealt out by a salt.
 
 Edge cases: null is the empty text, which is a blob like others; texts of any length are scanned whole;
 repeated rows and rows with null ids are paths of their own; an empty table gives no rows; other
@@ -98,15 +98,18 @@ def scan(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule
 
 
 def findings(versions: DataFrame, ledger: DataFrame, carry: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """carry, blob and spans (start, place of the rule, end, kind) in that order, for every row of versions."""
+    """carry, blob and spans (start, place of the rule, end, kind) in that order, for every row of versions;
+    underscores are appended to the last two where carry has such columns."""
     kinds = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.id, k)))
     names = F.array(*(F.lit(r.name) for r in rules))
     place = F.element_at(kinds, F.col("rule"))
     found = ledger.where(F.col("rule").isin([r.id for r in rules])).select("blob", F.struct("start", place.alias("k"), "end", F.get(names, place).alias("kind")).alias("s"))
-    by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    paths = versions.select(*carry, address(F.col(text)).alias("blob"))
-    empty = F.array().cast(by_blob.schema["spans"].dataType)
-    return paths.join(by_blob, "blob", "left").select(*carry, "blob", F.coalesce("spans", empty).alias("spans"))
+    blob, spans = (common.free_name(versions.select(*carry), n) for n in ("blob", "spans"))
+    by_blob = found.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_set("s")).alias(spans))
+    paths = common.keep(versions.select(*carry, address(F.col(text)).alias(blob)), "paths")
+    sizes = paths.groupBy(blob).agg(F.count(F.lit(1)).alias("n"))
+    empty = F.array().cast(by_blob.schema[spans].dataType)
+    return common.join_hot(paths, by_blob, [blob], sizes, "left").select(*carry, blob, F.coalesce(spans, empty).alias(spans))
 
 
 def digests(docs: DataFrame, ledger: str | None = None) -> DataFrame:

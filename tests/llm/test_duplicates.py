@@ -42,6 +42,35 @@ def test_components(spark, links):
     assert got == {n: union.find(n) for n in list(union)}
 
 
+# ------------------------------------------------------------------ hot keys
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt_out(spark, how):
+    keys = [1] * 4000 + [2] * 3000 + list(range(10, 3010)) + [None] * 5
+    left = common.keep(spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k int, n int"), "left")
+    right = spark.createDataFrame([(k, f"r{k}") for k in [1, *range(10, 2000, 2), 9999]], "k int, r string")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = common.join_hot(left, right, ["k"], counts, how)
+    assert sorted(map(tuple, got.select("k", "n", "r").collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).select("k", "n", "r").collect()), key=str)
+    empty = common.join_hot(left.limit(0), right, ["k"], counts.limit(0), how)
+    assert empty.columns == ["k", "n", "r"] and empty.count() == 0
+
+
+def test_a_hot_key_lands_in_many_tasks(spark):
+    left = common.keep(spark.createDataFrame([(1 if n % 2 else n,) for n in range(6000)], "k int"), "left")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    old = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("false", "-1", "16")):
+            spark.conf.set(c, v)
+        sizes = [r["count"] for r in common.join_hot(left, counts.select("k"), ["k"], counts).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    assert sum(sizes) == 6000 and max(sizes) < 1200
+
+
 # ------------------------------------------------------------------ near duplicates
 
 

@@ -134,6 +134,13 @@ def test_the_ledger_scans_only_what_is_new(spark, tmp_path):
     assert ("d", ()) in found and ("a", (("assign", 0, 22), ("hex", 6, 12))) in found
 
 
+def test_findings_beside_clashing_names(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b1", 1, "AKIA" + "Q" * 16), ("a", "b1", 1, "AKIA" + "Q" * 16), ("c", None, None, None)], "path string, blob string, spans int, text string")
+    got = secrets.findings(rows, secrets.scan(rows, f"file://{tmp_path}/a"), ["path", "blob", "spans"])
+    assert got.columns == ["path", "blob", "spans", "blob_", "spans_"]
+    assert sorted((r.path, r.blob, r.spans, len(r.spans_)) for r in got.collect() if r.blob) == [("a", "b1", 1, 1)] * 2 and got.count() == 3
+
+
 def test_secrets_query(spark, duck):
     from lodeplan.llm import queries
 
