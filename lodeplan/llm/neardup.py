@@ -166,8 +166,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     # the first of a bucket is the class of most rows, then of the smallest id: in a family that is likely the original
     rank = F.struct((-F.col("copies")).alias("c"), F.col("best.id").alias("o"), "nid", "n")
     placed = classes.select("nid", "n", rank.alias("rank"), F.explode("bands").alias("band"))
-    first = placed.groupBy("band").agg(F.min("rank").alias("lo"), F.min("nid").alias("a"), F.max("nid").alias("b")).where("a != b").select("band", "lo")
-    shared = common.keep(placed.join(first, "band").select("band", "nid", "n", F.col("lo.nid").alias("hub"), F.col("lo.n").alias("hub_n")), "buckets")
+    first = placed.groupBy("band").agg(F.min("rank").alias("lo"), F.min("nid").alias("a"), F.max("nid").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
+    first = common.keep(first.select("band", F.col("lo.nid").alias("hub"), F.col("lo.n").alias("hub_n"), F.col("n").alias("size")), "hubs")
+    sizes = first.select("band", F.col("size").alias("n"))
+    shared = common.keep(common.join_hot(placed.select("band", "nid", "n"), first.drop("size"), ["band"], sizes).select("band", "nid", "n", "hub", "hub_n"), "buckets")
     stars = common.keep(shared.where((F.col("nid") != F.col("hub")) & _sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct(), "stars")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = shared.select("nid").distinct()
@@ -195,7 +197,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     smallest = linked.groupBy("comp").agg(F.min("best").alias("least"))
     linked = linked.join(smallest, "comp").select("fp", "least")
     labels = classes.select("fp", "best").join(linked, "fp", "left").select("fp", F.coalesce("least", "best").alias("best"))
-    return rows.select("id", "r1", "r2", "n", "fp").join(labels, "fp", "left").select("id", "r1", "r2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).alias("best"))
+    labels, copies = common.keep(labels, "labels"), classes.select("fp", F.col("copies").alias("n"))
+    return common.join_hot(rows.select("id", "r1", "r2", "n", "fp"), labels, ["fp"], copies, "left").select("id", "r1", "r2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).alias("best"))
 
 
 def digests(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
