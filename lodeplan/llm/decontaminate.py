@@ -28,76 +28,127 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 WINDOW, SHINGLE = 10, 5
-#: The most bytes of item text that one broadcast holds.
+#: The most bytes of item text that one broadcast holds.  The index of it is about nine times as large, its making takes up to 35 times as much.
 ITEM_BYTES = 16 << 20
 
 
 class Index:
-    """The windows of one block of items, found by the shingle that the corpus has least often."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int, shingle: int):
-        self.window, self.shingle = window, shingle
-        words = common.Words(*common.buffers(pa.array([t for _, t in items], pa.string())), common.ALNUM)
-        self.ids = sorted({i or "" for i, _ in items})
-        place = {i: k for k, i in enumerate(self.ids)}
-        found: dict[tuple[bytes, ...], set[int]] = {}
-        hashes: dict[tuple[bytes, ...], np.ndarray] = {}
-        for row, (item, _) in enumerate(items):
-            a, b = words.first[row], words.first[row + 1]
-            own = [words.bytes[words.starts[k] : words.ends[k]].tobytes() for k in range(a, b)]
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1 if size else 0):
-                key = tuple(own[k : k + size])
-                found.setdefault(key, set()).add(place[item or ""])
-                hashes[key] = words.hashes[a + k : a + k + size]
-        self.words = list(found)
-        self.items = [sorted(found[w]) for w in self.words]
-        self.hashes = [hashes[w] for w in self.words]
-        self.sizes = sorted({min(shingle, len(w)) for w in self.words})
-        #: For each window its shingles' hashes, by offset.
-        self.parts = [self._shingles(h, min(shingle, len(h))) for h in self.hashes]
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    """The windows of one block of items, found by the shingle that the corpus has least often.  All of it is flat
+    arrays: of the items' words, and of the windows sorted by that shingle."""
+
+    def __init__(self, items: pa.Table, window: int, shingle: int):
+        """items: columns i and t, both strings."""
+        data, offsets = common.buffers(items.column("t").combine_chunks())
+        words = common.Words(data, offsets, common.ALNUM)
+        self.bytes, self.starts, self.ends, self.hashes = words.bytes, words.starts, words.ends, words.hashes
+        ids = items.column("i").fill_null("").combine_chunks().dictionary_encode()
+        self.ids = ids.dictionary.to_pylist()
+        item, n = ids.indices.to_numpy(zero_copy_only=False), np.diff(words.first)
+        size = np.minimum(n, window)
+        windows = np.where(n > 0, n - size + 1, 0)
+        row = np.repeat(np.arange(len(n)), windows)
+        begin = words.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        first, of = self._distinct(begin, size[row])
+        #: Of each different window: its first word, how many words, and between which places of items its items are.
+        self.begin, self.size = begin[first], size[row[first]].astype(np.int32)
+        pairs = np.unique(of * max(1, len(self.ids)) + item[row])
+        self.cuts = np.searchsorted(pairs, np.arange(len(first) + 1) * max(1, len(self.ids)))
+        self.items = (pairs % max(1, len(self.ids))).astype(np.int32)
+        self.sizes = sorted({min(shingle, int(x)) for x in np.unique(self.size)})
+        self.shingle = shingle
+        #: By the words of a shingle: their hashes at each word, and 0 to how many places they have in a window.
+        self.parts = {k: self._runs(words, k) for k in self.sizes}
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _distinct(self, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each set of equal windows (by 128 bits), and the set of every window."""
+        h1, h2 = size.astype(np.uint64), ~size.astype(np.uint64)
+        for q in range(int(size.max(initial=0))):
+            own = np.flatnonzero(size > q)
+            word = self.hashes[begin[own] + q]
+            h1[own] = common.mix(h1[own] * np.uint64(0x9E3779B97F4A7C15) + word)
+            h2[own] = common.mix((h2[own] ^ word) * np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return order[new], of
 
     @staticmethod
-    def _shingles(hashes: np.ndarray, k: int) -> list[int]:
-        one = object.__new__(common.Words)
-        one.hashes, one.first = hashes, np.array([0, len(hashes)])
-        return [int(x) for x in one.shingles(k)[0]]
+    def _runs(words: common.Words, k: int) -> np.ndarray:
+        out = np.zeros(len(words.hashes), np.uint64)
+        hashes, at = words.shingles(k)
+        out[at] = hashes
+        return out
 
-    def all_shingles(self) -> dict[int, np.ndarray]:
-        return {k: np.unique(np.array([h for p, w in zip(self.parts, self.words) if min(self.shingle, len(w)) == k for h in p], np.uint64)) for k in self.sizes}
+    def _of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows whose shingles have k words, and how many shingles each has."""
+        own = np.flatnonzero(np.minimum(self.size, self.shingle) == k)
+        return own, self.size[own] - k + 1
 
-    def order(self, frequency: dict[int, int]) -> None:
-        """Choose each window's prefix; a window with a shingle that no document has cannot occur."""
-        self.prefix = {k: {} for k in self.sizes}
-        for w, parts in enumerate(self.parts):
-            n, h, at = min((frequency.get(h, 0), h, at) for at, h in enumerate(parts))
-            if n:
-                self.prefix[min(self.shingle, len(self.words[w]))].setdefault(h, []).append((w, at))
+    def all_shingles(self) -> dict[int, np.ndarray]:
+        out = {}
+        for k in self.sizes:
+            own, n = self._of(k)
+            out[k] = np.unique(np.concatenate([self.parts[k][self.begin[own[n > at]] + at] for at in range(int(n.max()))]))
+        return out
+
+    def order(self, shingles: dict[int, np.ndarray], frequency: dict[int, np.ndarray]) -> None:
+        """Choose each window's prefix; a window with a shingle that no document has cannot occur.
+        frequency: documents that have each of the shingles, in their order."""
+        for k in self.sizes:
+            own, n = self._of(k)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            chosen, offset = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int32)
+            for at in range(int(n.max())):
+                has = np.flatnonzero(n > at)
+                h = self.parts[k][self.begin[own[has]] + at]
+                f = frequency[k][np.searchsorted(shingles[k], h)]
+                better = (f < least[has]) | (f == least[has]) & (h < chosen[has])
+                has, h, f = has[better], h[better], f[better]
+                least[has], chosen[has], offset[has] = f, h, at
+            some = np.flatnonzero(least > 0)
+            some = some[np.argsort(chosen[some], kind="stable")]
+            self.prefix[k] = chosen[some], own[some], offset[some]
+        self.parts = {}
+
+    def equal(self, w: int, words: common.Words, a: int) -> bool:
+        """Whether window w is the text's words from the a-th on."""
+        n, b = int(self.size[w]), int(self.begin[w])
+        if not np.array_equal(words.hashes[a : a + n], self.hashes[b : b + n]):
+            return False
+        return all(words.bytes[words.starts[a + q] : words.ends[a + q]].tobytes() == self.bytes[self.starts[b + q] : self.ends[b + q]].tobytes() for q in range(n))
 
 
 class Sieve:
-    """Finds members of a set of hashes among many: a bitmap first, the sorted set for what passes."""
+    """Finds members of a sorted set of hashes among many: a bitmap first, the set for what passes."""
 
     def __init__(self, members: np.ndarray):
-        self.members = np.sort(members)
+        self.members = members
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.members >> np.uint64(44)).astype(np.int64)] = True
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of hashes are members, and the first place of each among the members."""
         at = np.flatnonzero(self.bits[(hashes >> np.uint64(44)).astype(np.int64)])
         if not len(at) or not len(self.members):
-            return at[:0]
+            return at[:0], at[:0]
         where = np.searchsorted(self.members, hashes[at]).clip(max=len(self.members) - 1)
-        return at[self.members[where] == hashes[at]]
+        hit = self.members[where] == hashes[at]
+        return at[hit], where[hit]
 
 
-def _frequencies(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) -> dict[int, int]:
-    """Documents that have each of the shingles.  The result has at most as many rows as one block has shingles."""
+def _frequencies(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Documents that have each of the shingles, in their order.  What comes to the driver has at most as many
+    rows as one block has shingles, two numbers each."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves = {k: Sieve(v) for k, v in shingles.items()}
-        seen: dict[int, int] = {}
+        members = shared.value
+        sieves = {k: Sieve(v) for k, v in members.items()}
+        seen = {k: np.zeros(len(v), np.int64) for k, v in members.items()}
         for batch in batches:
             data, offsets = common.buffers(batch.column(0))
             for i, j in common.chunks(offsets):
@@ -105,15 +156,22 @@ def _frequencies(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) ->
                 rows = words.rows()
                 for k, sieve in sieves.items():
                     hashes, at = words.shingles(k)
-                    hit = sieve(hashes)
-                    pairs = np.unique(np.stack([hashes[hit], rows[at[hit]].astype(np.uint64)]), axis=1)
-                    for h, n in zip(*np.unique(pairs[0], return_counts=True)):
-                        seen[int(h)] = seen.get(int(h), 0) + int(n)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
-
-    counted = docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return {h % 2**64: n for h, n in counted.collect()}
+                    hit, where = sieve(hashes)
+                    once = np.unique(where * (j - i) + rows[at[hit]])
+                    np.add.at(seen[k], once // (j - i), 1)
+        for k, counts in seen.items():
+            some = np.flatnonzero(counts)
+            for a in range(0, len(some), 1 << 16):
+                own = some[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array(counts[own])], ["k", "place", "n"])
+
+    counted = docs.select(text).mapInArrow(run, "k int, place bigint, n bigint").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    kinds, places, counts = (counted.column(c).to_numpy() for c in ("k", "place", "n"))
+    out = {k: np.zeros(len(v), np.int64) for k, v in shingles.items()}
+    for k in out:
+        out[k][places[kinds == k]] = counts[kinds == k]
+    return out
 
 
 def _scan(docs: DataFrame, text: str, index: Index, names: tuple[str, str, str], first: bool, carry: list[str]) -> DataFrame:
@@ -129,7 +187,7 @@ def _scan(docs: DataFrame, text: str, index: Index, names: tuple[str, str, str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        sieves = {k: Sieve(np.array(list(p), np.uint64)) for k, p in index.prefix.items()}
+        sieves = {k: Sieve(p[0]) for k, p in index.prefix.items()}
         for batch in batches:
             old = [batch.column(columns.index(c)).to_pylist() for c in (r_name, i_name)] if not first else None
             counts, ranges, items = [], [], []
@@ -138,23 +196,25 @@ def _scan(docs: DataFrame, text: str, index: Index, names: tuple[str, str, str],
                 words = common.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], common.ALNUM)
                 rows = words.rows()
                 counts.append(np.diff(words.first))
-                own: dict[int, list[tuple[int, int]]] = {}
+                own: dict[int, set[tuple[int, int]]] = {}
                 got: dict[int, set[int]] = {}
                 for k, sieve in sieves.items():
+                    chosen, windows, shifts = index.prefix[k]
                     hashes, places = words.shingles(k)
-                    for x in sieve(hashes):
-                        for w, offset in index.prefix[k][int(hashes[x])]:
-                            row, size = int(rows[places[x]]), len(index.words[w])
-                            a = int(places[x]) - offset
-                            b = a + size
-                            if a < words.first[row] or b > words.first[row + 1] or not np.array_equal(words.hashes[a:b], index.hashes[w]):
-                                continue
-                            if all(words.bytes[words.starts[a + q] : words.ends[a + q]].tobytes() == index.words[w][q] for q in range(size)):
-                                own.setdefault(row, []).append((a - int(words.first[row]), b - int(words.first[row])))
-                                got.setdefault(row, set()).update(index.items[w])
+                    hit, where = sieve(hashes)
+                    for x, lo, hi in zip(places[hit].tolist(), where.tolist(), np.searchsorted(chosen, hashes[hit], "right").tolist()):
+                        row = int(rows[x])
+                        begin = x - shifts[lo:hi].astype(np.int64)
+                        # length and position first, for all windows of the shingle at once
+                        fits = np.flatnonzero((begin >= words.first[row]) & (begin + index.size[windows[lo:hi]] <= words.first[row + 1]))
+                        for w, a in zip(windows[lo:hi][fits].tolist(), begin[fits].tolist()):
+                            if index.equal(w, words, a):
+                                start = a - int(words.first[row])
+                                own.setdefault(row, set()).add((start, start + int(index.size[w])))
+                                got.setdefault(row, set()).update(index.items[index.cuts[w] : index.cuts[w + 1]].tolist())
                 for row in range(j - i):
                     before = old[0][i + row] if old else []
-                    spans = sorted([*own.get(row, []), *zip(before[::2], before[1::2])])
+                    spans = sorted([*own.get(row, ()), *zip(before[::2], before[1::2])])
                     merged: list[int] = []
                     for a, b in spans:
                         if merged and a <= merged[-1]:
@@ -183,8 +243,9 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
     out = docs
     for k in range(n_blocks):
         block = rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(n_blocks)) == k) if n_blocks > 1 else rows
-        index = Index([(r.i, r.t) for r in block.collect()], window, shingle)
-        index.order(_frequencies(docs, text, index.all_shingles()) if index.words else {})
+        index = Index(block.toArrow(), window, shingle)
+        shingles = index.all_shingles()
+        index.order(shingles, _frequencies(docs, text, shingles) if shingles else {})
         last = k == n_blocks - 1
         out = _scan(out, text, index, names, k == 0, carry)
         if not last:

@@ -1,6 +1,7 @@
 """Decontamination, secrets, licenses, quality and toxicity against brute force and on odd rows."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -90,6 +91,24 @@ def test_decontamination(spark, item_bytes):
     assert not any(r.contaminated for r in decontaminate.digests(df, bench.limit(0)).collect())
 
 
+def test_the_index_of_items_stays_small():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 11))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(vocab, k=80)) for _ in range(1500)]
+    index = decontaminate.Index(pa.table({"i": pa.array(map(str, range(1500))), "t": pa.array(texts)}), 10, 5)
+    shingles = index.all_shingles()
+    index.order(shingles, {k: np.ones(len(v), np.int64) for k, v in shingles.items()})
+    assert len(index.begin) == 1500 * 71 and len(pickle.dumps(index)) < 12 * sum(map(len, texts))
+
+
+def test_items_that_share_windows(spark):
+    shared = " ".join(f"s{k}" for k in range(12))
+    bench = spark.createDataFrame([(k, f"{shared} own{k}") for k in range(300)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"x {shared} y {shared}"), (2, f"{shared} own7 z"), (3, shared[:-4])], "doc_id int, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.digests(docs, bench).collect()}
+    assert got == {1: (24, 300), 2: (13, 300), 3: (11, 300)}
+
+
 def test_decontamination_query(spark, duck):
     from lodeplan.llm import queries
 
