@@ -10,6 +10,7 @@ from ..engine import Engine
 from ..errors import EngineError
 from . import tools
 
+VERSION = "0.1.0"
 PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
 PARSE, INVALID, UNKNOWN, PARAMS = -32700, -32600, -32601, -32602
 _ABOUT = (
@@ -29,7 +30,7 @@ class Rpc:
 
     def _initialize(self, params: dict, ctx: Context) -> dict:
         wanted = params.get("protocolVersion")
-        return {"protocolVersion": wanted if wanted in PROTOCOLS else PROTOCOLS[0], "capabilities": {"tools": {"listChanged": False}}, "serverInfo": {"name": "lodeplan", "version": "0.1.0"}, "instructions": _ABOUT}
+        return {"protocolVersion": wanted if wanted in PROTOCOLS else PROTOCOLS[0], "capabilities": {"tools": {"listChanged": False}}, "serverInfo": {"name": "lodeplan", "version": VERSION}, "instructions": _ABOUT}
 
     def _call(self, params: dict, ctx: Context) -> dict:
         name = params.get("name")

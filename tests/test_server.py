@@ -1,6 +1,7 @@
 import io
 import json
 import threading
+import time
 import urllib.request
 
 import pytest
@@ -133,6 +134,45 @@ def test_rpc_over_http(app):
     assert send(app, "POST", "/mcp", {"jsonrpc": "2.0", "id": 3, "method": "ping"}, mcp_session_id=session)[0] == 404
 
 
+def test_sessions_are_their_keys(app):
+    ping = {"jsonrpc": "2.0", "id": 2, "method": "ping"}
+    session = send(app, "POST", "/mcp", {"jsonrpc": "2.0", "id": 1, "method": "initialize"})[2]["Mcp-Session-Id"]
+    for method, body in (("POST", ping), ("DELETE", None)):
+        assert send(app, method, "/mcp", body, key="ro", mcp_session_id=session)[0] == 404
+        assert send(app, method, "/mcp", body, key="nobody", mcp_session_id=session)[0] == 403
+    assert send(app, "POST", "/mcp", ping, mcp_session_id=session)[0] == 200
+
+
+def test_protocol_versions(app):
+    ping = {"jsonrpc": "2.0", "id": 2, "method": "ping"}
+    assert send(app, "POST", "/mcp", ping, mcp_protocol_version="2025-06-18")[0] == 200
+    assert send(app, "POST", "/mcp", ping, mcp_protocol_version="1999-01-01")[0] == 400
+
+
+def test_answers_as_events(app):
+    ask = {"jsonrpc": "2.0", "id": 1, "method": "tools/list"}
+    status, out, _ = send(app, "POST", "/mcp", ask, accept="application/json, text/event-stream;q=0.9")
+    event, data = out.encoded().decode().strip().split("\n")
+    assert status == 200 and event == "event: message" and len(json.loads(data.removeprefix("data: "))["result"]["tools"]) == 14
+    assert isinstance(send(app, "POST", "/mcp", ask, accept="application/json")[1], dict)
+    assert send(app, "POST", "/mcp", {"jsonrpc": "2.0", "id": 7, "result": {}}, accept="text/event-stream")[:2] == (202, None)
+    assert send(app, "GET", "/mcp", accept="text/event-stream", key="none")[0] == 403
+    health = send(app, "GET", "/healthz", key="none")[1]
+    assert health["status"] == "ok" and health["version"] and health["natural_language"]
+
+
+def test_an_event_stream_lasts_until_the_server_stops(engine):
+    http = server(App(engine, Keyring([Key("rw", "acme")])), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    request = urllib.request.Request(f"http://127.0.0.1:{http.server_port}/mcp", headers={"Authorization": "Bearer rw", "Accept": "text/event-stream"})
+    with urllib.request.urlopen(request, timeout=30) as answer:
+        assert answer.status == 200 and answer.headers["Content-Type"] == "text/event-stream"
+        began = time.monotonic()
+        threading.Timer(0.5, http.shutdown).start()
+        assert answer.read() == b"" and 0.3 < time.monotonic() - began < 10
+    http.server_close()
+
+
 def test_sessions_end():
     now = [0.0]
     sessions = Sessions(lambda: now[0])
