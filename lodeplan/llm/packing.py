@@ -9,7 +9,8 @@ already have: nothing is shuffled, memory is bounded by a block however many doc
 a task that is run again makes the same rows.  With thousands of documents in a block the rooms left
 over are a small share, which ``n_tokens`` of each row tells.
 
-A row of the result is one line of an id matrix: ``input_ids`` (little-endian, ``dtype`` of ID_TYPE),
+A row of the result is one line of an id matrix: ``input_ids`` (little-endian, ``id_bytes`` each: 2, or 4 where
+the vocabulary or ``end`` goes beyond 16 bits),
 ``cu_seqlens`` (0 and the end of each segment), ``position_ids`` (which begin at 0 in each segment),
 and for each segment its document and the place of its first id there, from which ``unpack`` restores
 every document.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import bpe, common
 
 SEQ_LEN, BLOCK_TOKENS = 2048, 1 << 21
-ID_TYPE = np.dtype("<u2")
+SMALL, LARGE = np.dtype("<u2"), np.dtype("<u4")
 #: Texts of more characters go through the transducer, whose stack doesn't grow with a piece.
 LONG_TEXT = 500_000
 
@@ -85,12 +86,16 @@ def best_fit(lengths: Iterable[int], size: int) -> list[list[int]]:
     return rows
 
 
-def pack_block(docs: list[tuple[object, np.ndarray]], size: int, pad: int) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, list, list[int]]]:
+def id_type(highest: int) -> np.dtype:
+    return SMALL if highest < 1 << 16 else LARGE
+
+
+def pack_block(docs: list[tuple[object, np.ndarray]], size: int, pad: int, kind: np.dtype = SMALL) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, list, list[int]]]:
     """(ids, cu_seqlens, position_ids, doc_ids, doc_offsets) of each row."""
     segments = [(d, a, min(size, len(ids) - a)) for d, (_, ids) in enumerate(docs) for a in range(0, len(ids), size)]
-    count = np.arange(size, dtype=ID_TYPE if size <= 65536 else np.dtype("<u4"))
+    count = np.arange(size, dtype=id_type(size - 1))
     for row in best_fit((n for _, _, n in segments), size):
-        ids, at, cuts, positions = np.full(size, pad, ID_TYPE), 0, [0], np.zeros_like(count)
+        ids, at, cuts, positions = np.full(size, pad, kind), 0, [0], np.zeros_like(count)
         for k in row:
             d, a, n = segments[k]
             ids[at : at + n] = docs[d][1][a : a + n]
@@ -110,27 +115,26 @@ def pack(docs: DataFrame, path: str, pattern: str, end: int, seq_len: int = SEQ_
 
         own = bpe.load(path, pattern)
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=own.machine.ranks, special_tokens={})
-        if max(own.machine.vocab, default=0) > 65535 or end > 65535:
-            raise ValueError("ids of more than 16 bits need another ID_TYPE")
+        ids_of = id_type(max([end, *own.machine.vocab]))
         part = TaskContext.get().partitionId()
         block: list[tuple[object, np.ndarray]] = []
         total = made = 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(pack_block(block, seq_len, end))
+            rows = list(pack_block(block, seq_len, end, ids_of))
             n = len(rows)
             return pa.RecordBatch.from_arrays([
                 pa.array([part << 32 | made] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([r[0].tobytes() for r in rows], pa.binary()),
                 pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2].tobytes() for r in rows], pa.binary()),
-                pa.array([r[3] for r in rows], pa.list_(key_type)), pa.array([r[4] for r in rows], pa.list_(pa.int64())), pa.array([r[1][-1] for r in rows], pa.int32()),
-            ], ["block", "row", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "doc_offsets", "n_tokens"])
+                pa.array([r[3] for r in rows], pa.list_(key_type)), pa.array([r[4] for r in rows], pa.list_(pa.int64())), pa.array([r[1][-1] for r in rows], pa.int32()), pa.array([ids_of.itemsize] * n, pa.int32()),
+            ], ["block", "row", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "doc_offsets", "n_tokens", "id_bytes"])
 
         for batch in batches:
             key_type = batch.column(0).type
             for key_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = value.as_py() or ""
                 ids = fast.encode_ordinary(t) if len(t) <= LONG_TEXT else own.encode(t)
-                block.append((key_, np.array([*ids, end], ID_TYPE)))
+                block.append((key_, np.array([*ids, end], ids_of)))
                 total += len(ids) + 1
                 if total >= block_tokens:
                     yield flush()
@@ -138,12 +142,12 @@ def pack(docs: DataFrame, path: str, pattern: str, end: int, seq_len: int = SEQ_
         if block:
             yield flush()
 
-    return docs.select(key, text).mapInArrow(run, f"block bigint, row int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, doc_offsets array<bigint>, n_tokens int")
+    return docs.select(key, text).mapInArrow(run, f"block bigint, row int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, doc_offsets array<bigint>, n_tokens int, id_bytes int")
 
 
 def segments(packed: DataFrame) -> DataFrame:
     """The segments of packed rows: doc_id, doc_offset and ids as binary, for restoring documents by order of offset."""
-    each = packed.select("input_ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_offsets")).alias("k", "s"))
+    each = packed.select("input_ids", "id_bytes", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_offsets")).alias("k", "s"))
     start, stop = F.get("cu_seqlens", F.col("k")), F.get("cu_seqlens", F.col("k") + 1)
-    width = ID_TYPE.itemsize
+    width = F.col("id_bytes")
     return each.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.doc_offsets").alias("doc_offset"), F.substring("input_ids", start * width + 1, (stop - start) * width).alias("ids"))

@@ -107,6 +107,16 @@ def test_packing_restores_every_document(spark, reference):
     assert packing.pack(df.limit(0), PATH, public_tokenizers.PATTERN, end=50256).count() == 0
 
 
+def test_ids_beyond_16_bits(spark, reference):
+    rows = [(1, "alpha beta"), (2, "gamma " * 300)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, public_tokenizers.PATTERN, end=200_001, seq_len=64)
+    assert all(len(r.input_ids) == 64 * 4 and r.id_bytes == 4 for r in packed.collect())
+    back = {}
+    for s in packing.segments(packed).orderBy("doc_id", "doc_offset").collect():
+        back.setdefault(s.doc_id, []).extend(np.frombuffer(s.ids, "<u4").tolist())
+    assert back == {i: [*reference.encode_ordinary(t), 200_001] for i, t in rows}
+
+
 def test_rows_are_nearly_full(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack(docs, PATH, public_tokenizers.PATTERN, end=50256).select("n_tokens").collect()
