@@ -85,14 +85,17 @@ class Engine:
         return engine
 
     def _remove_orphans(self) -> None:
-        """Folders of tables whose drop was logged and then interrupted."""
+        """Folders of tables whose drop was logged and then interrupted.  A table is logged before its folder is
+        made, so the log as read after the folders names every table that another process made meanwhile."""
         base = f"{self.root}/tenants"
+        found = []
         for tenant in self.files.folders(base):
             for database in self.files.folders(f"{base}/{tenant}/databases"):
-                known = self.catalog.now.databases.get((tenant, database), {})
-                for table in self.files.folders(f"{base}/{tenant}/databases/{database}/tables"):
-                    if table not in known:
-                        self.files.delete(f"{base}/{tenant}/databases/{database}/tables/{table}")
+                found += [(tenant, database, t) for t in self.files.folders(f"{base}/{tenant}/databases/{database}/tables")]
+        self.catalog.refresh()
+        for tenant, database, table in found:
+            if table not in self.catalog.now.databases.get((tenant, database), {}):
+                self.files.delete(f"{base}/{tenant}/databases/{database}/tables/{table}")
 
     # ------------------------------------------------------------------ names
 
@@ -143,6 +146,8 @@ class Engine:
         """With a path, the table is Parquet there that others own."""
         ctx.require("schema:write")
         change: dict = {"kind": "create_table", "tenant": ctx.tenant, "database": self._database(ctx), "schema": table.check().to_json()}
+        self.catalog.refresh()
+        self.catalog.now.apply(change)  # refuse before anything goes
         if path is None:
             self.files.delete(self._folder(ctx, table.name))  # of a table of this name that was dropped half-way
         self.catalog.change(**change, **({"path": path} if path else {}))

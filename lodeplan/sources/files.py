@@ -59,18 +59,33 @@ class Files:
             stream.close()
 
     def commit(self, path: str, content: Any) -> None:
-        """Create path with this content, all or nothing; the loser of a race gets storage_error."""
+        """Create path with this content, all or nothing; the loser of a race gets storage_error.
+
+        Where a rename doesn't replace a file (HDFS and its like) that decides the race; a local rename does
+        replace, so there a hard link decides, which fails if the name is taken."""
         target, fs = self._at(path)
         temporary = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(temporary, True)
         stream.write(bytearray(json.dumps(content, ensure_ascii=False).encode()))
         stream.close()
         try:
-            if fs.exists(target) or not fs.rename(temporary, target):
+            if fs.exists(target) or not self._placed(fs, temporary, target):
                 raise EngineError("storage_error", f"{path} was committed by another writer; read again and retry")
         finally:
             fs.delete(temporary, False)
 
+    def _placed(self, fs, temporary, target) -> bool:
+        if fs.getUri().getScheme() != "file":
+            return fs.rename(temporary, target)
+        own, new = (self.jvm.java.io.File(p.toUri().getPath()).toPath() for p in (temporary, target))
+        try:
+            self.jvm.java.nio.file.Files.createLink(new, own)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception.getClass()):
+                return False
+            raise EngineError("storage_error", str(error.java_exception)) from None
+        return True
+
     def delete(self, path: str) -> None:
         target, fs = self._at(path)
         fs.delete(target, True)

@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import threading
 from dataclasses import replace
 from datetime import UTC, datetime
 
@@ -266,3 +267,36 @@ os._exit(9)
     assert done.returncode == 9, done.stderr[-500:]
     again = Engine.open(engine.spark, engine.root)
     assert count(again, ctx) == 41 and again.get(ctx, "leads", [1000])[0]["id"] == 1000
+
+
+def test_one_of_many_writers_wins(spark, tmp_path):
+    files, won = Files(spark), []
+
+    def write(k):
+        try:
+            files.commit(f"file://{tmp_path}/log/00000001.json", {"by": k})
+            won.append(k)
+        except EngineError as error:
+            assert error.code == "storage_error"
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and files.read(f"file://{tmp_path}/log/00000001.json") == {"by": won[0]}
+    assert [n for n, _ in files.list(f"file://{tmp_path}/log")] == ["00000001.json"]
+
+
+def test_opening_keeps_what_another_process_has_just_made(spark, tmp_path, monkeypatch):
+    root, ctx = f"file://{tmp_path}", Context("acme", "shop")
+    first = Engine.open(spark, root)
+    first.create_database(Context("acme"), "shop")
+    schema = Table.from_json({"name": "leads", "columns": [{"name": "id", "type": "int64", "nullable": False}], "primary_key": ["id"]})
+    late = Engine(spark, root)  # has read the log by now
+    first.create_table(ctx, schema)
+    first.insert(ctx, "leads", [{"id": 1}])
+    late._remove_orphans()
+    with pytest.raises(EngineError, match="already exists"):
+        Engine(spark, root).create_table(ctx, schema)
+    assert first.query(ctx, {"table": "leads"}).to_json()["rows"] == [{"id": 1}]
