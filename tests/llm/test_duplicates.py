@@ -291,6 +291,20 @@ def test_very_long_lines(spark):
     assert {r.doc_id: r.n_dropped for r in lines.deduplicate(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
+def test_lines_about_the_long_limit(spark):
+    """One line of a pair beyond LONG characters, or long ones whose other words are of other lengths: still similar by words."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(200)]
+    below = " ".join(words[:64])
+    above = " ".join([*words[:63], "x" * 12])
+    long = " ".join(words[80:160])
+    stretched = " ".join(["".join(rng.choice("abcdefgh") for _ in range(60)) if k < 6 else w for k, w in enumerate(words[80:160])])
+    assert len(below) <= lines.LONG < len(above) and near(below, above)
+    assert len(long) < 0.8 * len(stretched) and near(long, stretched)
+    df = spark.createDataFrame([(0, below), (1, above), (2, long), (3, stretched)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_dropped for r in lines.deduplicate(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
 # ------------------------------------------------------------------ archives
 
 
