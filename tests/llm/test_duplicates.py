@@ -305,6 +305,32 @@ def test_lines_about_the_long_limit(spark):
     assert {r.doc_id: r.n_dropped for r in lines.deduplicate(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
 
 
+def test_a_bucket_of_dissimilar_lines_keeps_no_pairs(spark, monkeypatch):
+    """Lines of the same ten words beside others of three letters share all buckets: rows grow with lines, not with pairs."""
+    rng = random.Random(14)
+
+    def filler(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(n))
+
+    same_words = " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(10))
+    rows = [(k, f"{same_words} {filler(60)}") for k in range(150)]
+    rows.append((200, rows[70][1][:-3] + "xyz"))  # similar to one, which is not the first
+    rows.append((201, f"{same_words} {filler(105)}"))
+    rows.append((202, rows[-1][1] + " xyz"))
+    assert len(rows[-2][1]) <= lines.LONG < len(rows[-1][1])
+    kept, keep = [], common.keep
+
+    def counted(df, tag, codec=None):
+        out = keep(df, tag, codec)
+        kept.append((out.count(), tag))
+        return out
+
+    monkeypatch.setattr(common, "keep", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in lines.deduplicate(df).collect() if r.n_dropped} == {200, 202}
+    assert max(kept)[0] <= 20 * len(rows), max(kept)
+
+
 # ------------------------------------------------------------------ archives
 
 
