@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.keep(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return docs

@@ -402,6 +402,21 @@ def test_archive_query(spark, duck):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_the_line_stage_leaves_little_on_disk(spark):
+    """Of the scratch tables of the pipeline's second stage only the dropped lines stay for its result."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(k, f"line {k % 7} of some length that comes again\nand number x{k}y on its own here") for k in range(30)], "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    before = len(common._made)
+    out = p.line_dedup(spark, docs, SF)
+    left = [path.split("/")[-1].split("-")[0] for _, path in common._made[before:]]
+    assert left.count("drops") == 1 and not {"lines", "classes", "buckets", "pairs", "open", "texts", "groups"} & set(left), left
+    kept = common.keep(out, "kept")
+    assert kept.count() == out.count() > 0
+    common.discard(kept, docs)
+    assert not common.exists(spark, kept._scratch)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
     from lodeplan.llm import bpe, decontaminate, quality
