@@ -273,6 +273,25 @@ def test_folding_beyond_ascii():
     assert all(len(v) == 1 for v in of.values()) and len(set.union(*of.values())) == len(of)
 
 
+def test_lines_run_no_python(spark):
+    """No operator of Python is in the plan, and the buckets are those of hashes() in plain Python."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghéß") for _ in range(rng.randrange(1, 13))) for _ in range(300)] + ["Ünd", "12,5", "世", "ไทย", "中文字", "𝒜bcde", "😀", "x" * 50]
+    own = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 4, 9, 11, 30, 200, 1500]))) for _ in range(250)] + ["a", "...", "\x00", " ".join(["same"] * 9000)]
+    df = spark.createDataFrame([(n, "\n".join(own[n::20])) for n in range(20)] + [(20, None)], "doc_id bigint, text string")
+    seen = lines._occurrences(df, "doc_id", "text")
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan.replace("PythonRDD", "").replace("ExistingRDD", "")), plan
+    got = defaultdict(lambda: [None, set()])
+    for r in seen.collect():
+        got[own[r.id :: 20][r.i]][0] = (r.h1, r.h2)
+        got[own[r.id :: 20][r.i]][1] |= {*r["keys"]}
+    data, offsets = common.buffers(pa.array(own))
+    full, h1, h2, of, keys = lines.hashes(data, offsets)
+    want = {own[n]: [(a, b), set(keys[of == k].tolist())] for k, (n, a, b) in enumerate(zip(full.tolist(), h1.tolist(), h2.tolist()))}
+    assert len(want) > 150 and dict(got) == want
+
+
 def test_accented_and_typographic_variants_are_one_line(spark):
     pairs = [("Été à la plage", "ÉTÉ À LA PLAGE"), ("“Read more” — here", '"Read more" - here'), ("no\u00a0break", "no break"), ("你好、世界。", "你好 世界"), ("ЖУРНАЛ", "журнал")]
     df = spark.createDataFrame([(0, "\n".join(a for a, _ in pairs)), (1, "\n".join(b for _, b in pairs) + "\nete a la plage")], "doc_id bigint, text string")
