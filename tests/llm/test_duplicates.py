@@ -292,6 +292,15 @@ def test_lines_run_no_python(spark):
     assert len(want) > 150 and dict(got) == want
 
 
+def test_code_of_the_line_hashes_comes_in_small_methods(spark):
+    """Keys are made apart from the sums of votes, so no method that Spark makes for hashing has more than 5,000 bytes."""
+    seen = lines._occurrences(spark.createDataFrame([(0, "some words\nof lines"), (1, None)], "doc_id bigint, text string"), "doc_id", "text")
+    assert seen.count() == len(seen.collect()) > 1
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(seen._jdf.queryExecution().executedPlan())
+    assert made.length() and max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.length())) <= 5000
+
+
 def test_accented_and_typographic_variants_are_one_line(spark):
     pairs = [("Été à la plage", "ÉTÉ À LA PLAGE"), ("“Read more” — here", '"Read more" - here'), ("no\u00a0break", "no break"), ("你好、世界。", "你好 世界"), ("ЖУРНАЛ", "журнал")]
     df = spark.createDataFrame([(0, "\n".join(a for a, _ in pairs)), (1, "\n".join(b for _, b in pairs) + "\nete a la plage")], "doc_id bigint, text string")
